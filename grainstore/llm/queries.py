@@ -1,0 +1,75 @@
+"""Queries of the text problems and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grainstore.llm.conversations import conversation_segments, conversations, judged_threads
+from grainstore.llm.splitting import split_oversized
+from grainstore.session import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    segments = conversation_segments(spark, f"{d}/turns.parquet")
+    return judged_threads(segments, table(spark, d, "threads")).where(F.col("reason").isNotNull())
+
+
+def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
+    segments = conversation_segments(spark, f"{d}/turns.parquet")
+    return conversations(segments, table(spark, d, "threads"), table(spark, d, "turns"))
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(*(table(spark, d, t) for t in ("text_chunks", "code_chunks", "chunk_limits")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).where("piece_index = 0").select("chunk_id").distinct()
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
+_QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_pieces)}
+
+
+def queries():
+    return dict(_QUERIES)
+
+
+_INSTANT = "(CASE WHEN regexp_matches(created_at, ':\\d\\d(Z|[+-]\\d\\d:?\\d\\d)$') THEN created_at ELSE created_at || 'Z' END)::TIMESTAMPTZ"
+_TURNS = f"""
+payload AS (SELECT *, CASE WHEN json_valid(payload_json) THEN payload_json END AS pj FROM turns),
+t AS (
+  SELECT DISTINCT id, thread_id, {_INSTANT} AS ts,
+    CASE WHEN lower(trim(role)) IN ('user', 'human', '사용자') THEN 'user'
+         WHEN lower(trim(role)) IN ('assistant', 'ai', 'bot', '어시스턴트') THEN 'assistant'
+         WHEN lower(trim(role)) = 'system' THEN 'system' ELSE 'unknown' END AS role,
+    CASE WHEN regexp_matches(coalesce(content, ''), '[\\p{{L}}\\p{{N}}]') THEN content
+         WHEN regexp_matches(coalesce(pj->>'$.answer_markdown', ''), '[\\p{{L}}\\p{{N}}]') THEN pj->>'$.answer_markdown'
+         WHEN regexp_matches(coalesce(pj->>'$.answer', ''), '[\\p{{L}}\\p{{N}}]') THEN pj->>'$.answer'
+         WHEN regexp_matches(coalesce(pj->>'$.text', ''), '[\\p{{L}}\\p{{N}}]') THEN pj->>'$.text' END AS txt
+  FROM payload WHERE thread_id IS NOT NULL),
+o AS (
+  SELECT *, lag(role) OVER w AS prev, lead(role) OVER w AS next, row_number() OVER w AS pos
+  FROM t WHERE txt IS NOT NULL AND role <> 'system' WINDOW w AS (PARTITION BY thread_id ORDER BY ts, id)),
+judged AS (
+  SELECT h.id AS thread_id,
+    CASE WHEN count(o.id) = 0 THEN 'empty'
+         WHEN bool_or(o.role = 'unknown' OR (o.role = 'assistant' AND coalesce(o.prev, 'assistant') = 'assistant')) THEN 'broken'
+         WHEN bool_or(o.role = 'user' AND coalesce(o.next, '') <> 'assistant') THEN 'missing_reply' END AS reason
+  FROM (SELECT DISTINCT id FROM threads) h LEFT JOIN o ON o.thread_id = h.id GROUP BY 1)
+"""
+
+def oracle_sql():
+    return {
+        "p1_found": f"WITH {_TURNS} SELECT thread_id, reason FROM judged WHERE reason IS NOT NULL",
+        "p1_conversations": f"""WITH {_TURNS} SELECT thread_id, pos AS position, id AS turn_id, role, txt AS text
+FROM o SEMI JOIN (SELECT thread_id FROM judged WHERE reason IS NULL) USING (thread_id)""",
+        "p3_found": """SELECT DISTINCT chunk_id FROM text_chunks, chunk_limits WHERE chunk_kind = 'text'
+  AND (coalesce(length(text) > max_chars, false) OR coalesce(len(regexp_extract_all(text, '\\r\\n|\\n|\\r')) + 1 > max_lines, false))
+UNION SELECT DISTINCT chunk_id FROM code_chunks, chunk_limits WHERE chunk_kind = 'code'
+  AND (coalesce(length(text) > max_chars, false) OR coalesce(len(regexp_extract_all(text, '\\r\\n|\\n|\\r')) + 1 > max_lines, false))""",
+    }
