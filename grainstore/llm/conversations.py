@@ -51,7 +51,7 @@ def conversation_segments(spark: SparkSession, turns_path: str, config: Conversa
     Keyed state: one entry per thread and event-time window, holding the (time, id, role) of the turns that count; a
     redelivered turn is kept once. The watermark trails the latest event by ``lateness``; late arrivals are buffered
     until it passes a window's end (closure), and the end of the input closes whatever is left (timeout: a control
-    row moves the watermark to the end of time). Texts stay in the table and are joined by id, so state stays small; a
+    row moves the watermark to the end of time, where its own window never closes). Texts stay in the table and are joined by id, so state stays small; a
     thread with a third of all rows is spread over its windows. Null thread ids belong to no thread.
     """
     schema = spark.read.parquet(turns_path).select("id", "thread_id", "role", "content", "payload_json", "created_at").schema
@@ -73,7 +73,6 @@ def conversation_segments(spark: SparkSession, turns_path: str, config: Conversa
         .withWatermark("ts", config.lateness)
         .groupBy("thread_id", F.window("ts", config.segment))
         .agg(F.sort_array(F.collect_set(F.struct("ts", "id", "role"))).alias("turns"))
-        .where(F.col("thread_id") != _CONTROL)
         .select("thread_id", F.col("window.start").alias("segment"), "turns")
         .withColumns(_segment_columns(F.col("turns")))
     )
