@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainstore.llm.conversations import conversation_segments, conversations, judged_threads
+from grainstore.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs, near_duplicates
 from grainstore.llm.splitting import split_oversized
 from grainstore.session import table
 
@@ -32,7 +33,19 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_pieces)}
+def _near(spark: SparkSession, d: str):
+    return near_duplicates([table(spark, d, t).select("chunk_id", "text") for t in ("code_chunks", "text_chunks")])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_pairs(_near(spark, d))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_groups(_near(spark, d))
+
+
+_QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_pieces, p5_found, p5_groups)}
 
 
 def queries():
@@ -63,8 +76,20 @@ judged AS (
   FROM (SELECT DISTINCT id FROM threads) h LEFT JOIN o ON o.thread_id = h.id GROUP BY 1)
 """
 
+_RUNS = """
+chunks AS (SELECT DISTINCT 'code' AS tbl, chunk_id, text FROM code_chunks UNION SELECT 'text', chunk_id, text FROM text_chunks),
+w AS (SELECT tbl, chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM chunks),
+runs AS (SELECT DISTINCT tbl, chunk_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: hash(ws[i], ws[i + 1], ws[i + 2]))) AS g FROM w),
+size AS (SELECT tbl, chunk_id, count(*) AS n FROM runs GROUP BY ALL)
+"""
+
+
 def oracle_sql():
     return {
+        "p5_found": f"""WITH {_RUNS}, inter AS (SELECT a.tbl, a.chunk_id AS x, b.chunk_id AS y, count(*) AS c
+  FROM runs a JOIN runs b ON a.g = b.g AND a.tbl = b.tbl AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT x AS chunk_a, y AS chunk_b FROM inter i JOIN size s ON s.tbl = i.tbl AND s.chunk_id = x JOIN size t ON t.tbl = i.tbl AND t.chunk_id = y
+WHERE c >= 0.6 * (s.n + t.n - c)""",
         "p1_found": f"WITH {_TURNS} SELECT thread_id, reason FROM judged WHERE reason IS NOT NULL",
         "p1_conversations": f"""WITH {_TURNS} SELECT thread_id, pos AS position, id AS turn_id, role, txt AS text
 FROM o SEMI JOIN (SELECT thread_id FROM judged WHERE reason IS NULL) USING (thread_id)""",
