@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainstore.llm.conversations import conversation_segments, conversations, judged_threads
+from grainstore.llm.leakage import leakage_report, leaked_passages
 from grainstore.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs, near_duplicates
 from grainstore.llm.splitting import split_oversized
 from grainstore.session import table
@@ -45,7 +46,19 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_near(spark, d))
 
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_pieces, p5_found, p5_groups)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_cases"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage_report(_leaks(spark, d), table(spark, d, "eval_cases"))
+
+
+_QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_pieces, p5_found, p5_groups, p8_found, p8_report)}
 
 
 def queries():
@@ -84,8 +97,19 @@ size AS (SELECT tbl, chunk_id, count(*) AS n FROM runs GROUP BY ALL)
 """
 
 
+_LEAKS = """
+dw AS (SELECT DISTINCT doc_id, array_to_string(regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}_]+'), '') AS sq FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(passage)), '[\\p{L}\\p{N}_]+') AS ws FROM eval_cases),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i+11], ''))) AS g FROM iw),
+leaks AS (SELECT doc_id, item_id, count(*) AS windows FROM dw JOIN ig ON contains(dw.sq, ig.g) GROUP BY ALL)
+"""
+
+
 def oracle_sql():
     return {
+        "p8_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
+        "p8_report": f"""WITH {_LEAKS} SELECT e.item_id, count(l.doc_id) AS docs, coalesce(max(l.windows), 0) AS most_windows
+FROM (SELECT DISTINCT item_id FROM eval_cases) e LEFT JOIN leaks l USING (item_id) GROUP BY 1""",
         "p5_found": f"""WITH {_RUNS}, inter AS (SELECT a.tbl, a.chunk_id AS x, b.chunk_id AS y, count(*) AS c
   FROM runs a JOIN runs b ON a.g = b.g AND a.tbl = b.tbl AND a.chunk_id < b.chunk_id GROUP BY ALL)
 SELECT x AS chunk_a, y AS chunk_b FROM inter i JOIN size s ON s.tbl = i.tbl AND s.chunk_id = x JOIN size t ON t.tbl = i.tbl AND t.chunk_id = y
