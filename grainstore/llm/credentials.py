@@ -33,18 +33,20 @@ SECRET_PAIRS = frozenset(
 ABOUT = frozenset("name names id ids url uri path file field fields label hint policy length min max ttl type header prefix suffix env var ref vault store manager provider column regex pattern prompt reset page form expiry".split())
 NAME_MARKS = ("passw", "passphrase", "passcode", "pwd", "secret", "key", "token", "salt", "pass")
 PLACEHOLDER = re.compile(
-    r"^(?:$|[x*.•#_\-?0]+$|<.*>$|\[.*\]$|\{\{?.*\}\}?$|%[\w(){}.]*%?[sd]?$|\$|@[\w.]+@$|(?:your|my|the|some|any|a|an|insert|enter|replace|change|put|set|todo|fixme|tbd|example|sample|dummy|fake|test|default|placeholder|redacted|none|null|nil|true|false|undefined|empty|secret|password|passwd|token|key|hidden|removed|masked)(?:[\W_]*[a-z]+)*[\W_]*$)",
+    r"^(?:$|[x*.•#_\-?0]+$|<.*>$|\[.*\]$|\{\{?.*\}\}?$|%[\w(){}.]*%?[sd]?$|\$|@[\w.]+@$|(?:your|my|the|some|any|a|an|insert|enter|replace|change|put|set|todo|fixme|tbd|example|sample|dummy|fake|test|default|placeholder|redacted|none|null|nil|true|false|undefined|empty|secret|password|passwd|token|key|hidden|removed|masked)[\W_a-z]*$)",
     re.I,
 )
 REFERENCE = re.compile(r"\$\{|\$\(|\{\{|<%|process\.env|os\.environ|getenv|vault:|secret://|ssm:|env:|ENC\(")
+#: A name begins at a quote or where no name character comes before, and is taken whole, so no word is tried twice.
 ASSIGNED = re.compile(
-    r"""(?P<name>["']?[\w$.\-\]\[]*[\w\]]["']?)\s*(?::\s*[A-Za-z_][\w<>\[\]|. ]*?)?\s*(?:=>|:=|=|:)\s*(?:new\s+\w+\()?"""
+    r"""(?P<name>(?:["']|(?<![\w$.\-\]\[]))[\w$.\-\]\[]++(?<=[\w\]])["']?+)\s*+(?::\s*[A-Za-z_][\w<>\[\]|. ]*?)?\s*(?:=>|:=|=|:)\s*(?:new\s+\w+\()?"""
     r"""(?P<value>"(?:[^"\\\n]|\\.)*"(?:\s*[+.]\s*"(?:[^"\\\n]|\\.)*")*|'(?:[^'\\\n]|\\.)*'(?:\s*[+.]\s*'(?:[^'\\\n]|\\.)*')*|`[^`\n]*`|[^\s"'`(){}\[\],;<>]+(?=\s*(?:$|[\r\n]|\s#)))""",
     re.M,
 )
 ATTRIBUTE = re.compile(r"""(?:name|key|id)\s*=\s*["'](?P<name>[\w.\-]+)["'][^<>\n]*?\bvalue\s*=\s*(?P<value>"[^"\n]*"|'[^'\n]*')""")
 ELEMENT = re.compile(r"<(?P<name>[\w.\-]+)>(?P<value>[^<>\s]{4,})</(?P=name)>")
-CALL = re.compile(r"""(?P<name>[\w.\-]*(?:[Pp]assword|[Ss]ecret|[Aa]pi_?[Kk]ey))["']?\s*[(,]\s*(?P<value>"(?:[^"\\\n]|\\.)+"|'(?:[^'\\\n]|\\.)+')""")
+CALL = re.compile(r"""(?P<name>(?<![\w.\-])[\w.\-]*(?:[Pp]assword|[Ss]ecret|[Aa]pi_?[Kk]ey))["']?\s*[(,]\s*(?P<value>"(?:[^"\\\n]|\\.)+"|'(?:[^'\\\n]|\\.)+')""")
+CALL_MARKS = ("password", "secret", "apikey", "api_key")
 URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s/@\"'`<>]+)@[\w.\-\[\]]+")
 SCHEME = re.compile(r"(?P<scheme>\b[Bb]asic|\bBASIC|\b[Bb]earer|\bBEARER)\s+(?P<value>[A-Za-z0-9+/_.=~\-]{12,})")
 LOGIN = re.compile(r"\b(?:login|logon|credentials?|creds|account|sign[- ]?in)\b\s*[:=]\s*(?P<user>[\w.@\-]+)\s*(?:/|:|\s\|)\s*(?P<value>[^\s\"'<>]{6,})", re.I)
@@ -196,7 +198,8 @@ def _plain(text: str, depth: int) -> list[Finding]:
             if not PLACEHOLDER.match(v) and not REFERENCE.search(v) and re.search(r"[\d\W_]", v) and not re.fullmatch(r"[a-z]+(?:[._/-][a-z]+)*", v):
                 found.append(Finding(m.start("value"), m.end("value"), "login"))
     if any(m in low for m in NAME_MARKS):
-        for pattern in (ASSIGNED, ATTRIBUTE, ELEMENT, CALL):
+        calls = (CALL,) if any(m in low for m in CALL_MARKS) else ()
+        for pattern in (ASSIGNED, ATTRIBUTE, ELEMENT, *calls):
             for m in pattern.finditer(text):
                 strength = secret_name(m.group("name"))
                 if not strength:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainstore.llm.conversations import conversation_segments, conversations, judged_threads
+from grainstore.llm.credentials import credentials
 from grainstore.llm.leakage import leakage_report, leaked_passages
 from grainstore.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs, near_duplicates
 from grainstore.llm.splitting import split_oversized
@@ -46,6 +47,14 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_near(spark, d))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials(table(spark, d, "code_chunks")).select("chunk_id", F.col("line_no").cast("int").alias("line_no")).distinct()
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials(table(spark, d, "code_chunks"), with_text=True)
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_cases"))
 
@@ -58,7 +67,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage_report(_leaks(spark, d), table(spark, d, "eval_cases"))
 
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_pieces, p5_found, p5_groups, p8_found, p8_report)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_pieces, p5_found, p5_groups, p7_found, p7_redacted, p8_found, p8_report)}
 
 
 def queries():

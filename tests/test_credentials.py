@@ -1,0 +1,29 @@
+import time
+
+from __spark_entry__ import queries
+from grainstore.llm.credentials import PLACEHOLDER
+
+
+def _chunks(spark, folder, texts):
+    rows = [(f"c{i}", 10, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "chunk_id string, start_line int, text string").write.parquet(f"{folder}/code_chunks.parquet")
+    return str(folder)
+
+
+def test_p7_is_registered_and_finds_each_credential(spark, tmp_path):
+    d = _chunks(spark, tmp_path, ['a = 1\npassword = "k3Lq9!xZ2w"\n', "x = 1\n"])
+    found = [tuple(r) for r in queries()["p7_found"](spark, d).collect()]
+    assert found == [("c0", 11)]
+
+
+def test_p7_redacted_keeps_the_code_around(spark, tmp_path):
+    d = _chunks(spark, tmp_path, ['a = 1\npassword = "k3Lq9!xZ2w"\n'])
+    (row,) = queries()["p7_redacted"](spark, d).collect()
+    assert row.redacted == 'a = 1\npassword = "xxxxxxxxxx"\n'
+
+
+def test_placeholder_is_linear_in_the_value():
+    began = time.process_time()
+    assert PLACEHOLDER.match("token " + "abcdefgh" * 40 + "1") is None
+    assert PLACEHOLDER.match("your-token_here") and PLACEHOLDER.match("change me!")
+    assert time.process_time() - began < 1
