@@ -22,8 +22,7 @@ class NearDuplicateConfig:
 
     With 40 bands of 4 a pair at exactly 0.6 becomes a candidate with probability 0.996, at 0.65 with 0.9996.
     ``compare`` values are compared, ``step`` at a time; a pair is dropped when the posterior probability that its
-    similarity reaches the threshold, under a uniform prior, is below ``tolerance``. Groups of up to ``expand`` chunks
-    with one and the same set of runs come out as all their pairs, larger ones as pairs with their representative.
+    similarity reaches the threshold, under a uniform prior, is below ``tolerance``.
     """
 
     shingle: int = 3
@@ -33,7 +32,6 @@ class NearDuplicateConfig:
     compare: int = 64
     step: int = 16
     tolerance: float = 1e-4
-    expand: int = 64
     broadcast_rows: int = 100_000
 
 
@@ -224,25 +222,21 @@ def near_duplicates(tables: list[DataFrame], config: NearDuplicateConfig = NearD
     return NearDuplicates(members, links)
 
 
-def near_duplicate_pairs(found: NearDuplicates, config: NearDuplicateConfig = NearDuplicateConfig()) -> DataFrame:
+def near_duplicate_pairs(found: NearDuplicates) -> DataFrame:
     """(chunk_a, chunk_b), chunk_a < chunk_b: all pairs of similar chunks, copies included.
 
-    Of a class with more than ``expand`` copies each copy is paired with the representative, and the representative
-    stands for the class in links to other texts, so a mass of copies never grows quadratically and no link between
-    different texts is lost.
+    A class is one set of runs, not one text, so every member is paired with every other and with every member of the
+    linked classes, whatever the size; the output is quadratic in the size of a class, as the pairs asked for are.
     """
-    big = F.col("copies") > config.expand
     several = found.members.where("copies > 1").select("chunk_id", "cls", "rep", "copies")
-    few = several.where(~big)
     inside = (
-        few.select("cls", F.col("chunk_id").alias("x")).join(few.select("cls", F.col("chunk_id").alias("y")), "cls").where("x < y").select("x", "y")
-    ).unionByName(several.where(big & (F.col("chunk_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("chunk_id").alias("y")))
+        several.select("cls", F.col("chunk_id").alias("x")).join(several.select("cls", F.col("chunk_id").alias("y")), "cls").where("x < y").select("x", "y")
+    )
     across = found.links
     for side in ("a", "b"):
-        others = few.where("chunk_id <> rep").select(F.col("cls").alias(side), F.col("chunk_id").alias("other"))
-        whole = (F.col(f"copies_{side}") > 1) & (F.col(f"copies_{side}") <= config.expand)
+        others = several.where("chunk_id <> rep").select(F.col("cls").alias(side), F.col("chunk_id").alias("other"))
         across = across.withColumn(f"x_{side}", F.col(f"rep_{side}")).unionByName(
-            across.where(whole).join(others, side).withColumn(f"x_{side}", F.col("other")).drop("other")
+            across.where(F.col(f"copies_{side}") > 1).join(others, side).withColumn(f"x_{side}", F.col("other")).drop("other")
         )
     pairs = inside.unionByName(across.select(F.col("x_a").alias("x"), F.col("x_b").alias("y")))
     return pairs.select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).distinct()

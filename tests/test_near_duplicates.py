@@ -1,0 +1,11 @@
+from grainstore.llm.near_duplicates import near_duplicate_pairs, near_duplicates
+
+
+def test_all_pairs_of_a_large_class_and_its_links(spark):
+    words = [f"w{i}" for i in range(40)]
+    template = [(f"t{i:02}", " ".join(words) + "." * i) for i in range(66)]
+    near = [(f"u{i}", " ".join(words + ["more"]) + "!" * i) for i in range(2)]
+    df = spark.createDataFrame(template + near, "chunk_id string, text string")
+    pairs = {tuple(r) for r in near_duplicate_pairs(near_duplicates([df])).collect()}
+    ids = sorted(c for c, _ in template + near)
+    assert pairs == {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]}
