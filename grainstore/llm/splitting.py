@@ -26,7 +26,7 @@ CODE_LEVELS = (
 BREAK = re.compile(r"\r\n|\n|\r")
 PIECE_SCHEMA = (
     "chunk_kind string, chunk_id string, piece_index int, n_pieces int, text string, "
-    "char_start long, char_end long, start_line long, end_line long"
+    "char_start long, char_end long, start_line long, end_line long, overlap int"
 )
 
 
@@ -53,18 +53,35 @@ def boundaries(text: str, levels: tuple[re.Pattern, ...], fits) -> list[int]:
     return ends
 
 
-def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int]]:
-    """[start, end) of pieces of at most ``max_chars``; each starts ``overlap`` characters before the last one's end."""
+def split_text(text: str, max_chars: int, overlap: int, max_lines: int = 2**31 - 1) -> list[tuple[int, int]]:
+    """[start, end) of pieces of at most ``max_chars`` and ``max_lines``; each starts ``overlap`` characters before the
+    last one's end, or as many of them as leave room for a new line under ``max_lines``."""
     overlap = max(0, min(overlap, max_chars - 1))
     fresh = max(1, max_chars - overlap)
-    ends = boundaries(text, TEXT_LEVELS, lambda lo, hi: hi - lo <= fresh)
+    breaks, openings = [m.end() for m in BREAK.finditer(text)], [m.start() for m in BREAK.finditer(text)]
+    n_breaks = lambda lo, hi: bisect_right(breaks, hi) - bisect_right(breaks, lo)
+
+    def fits(lo: int, hi: int) -> bool:
+        return hi - lo <= fresh and n_breaks(lo, hi - 1) < max_lines
+
+    ends = boundaries(text, TEXT_LEVELS, fits)
     out, start, done = [], 0, 0
     while done < len(text):
-        end = ends[bisect_right(ends, start + max_chars) - 1]
+        limit = min(len(text), start + max_chars)
+        first = bisect_right(breaks, start)
+        if first + max_lines - 1 < len(breaks):
+            limit = min(limit, openings[first + max_lines - 1])  # the break after the last line stays out
+        k = bisect_right(ends, limit)
+        end = ends[k - 1] if k else 0
         if end <= done:
-            end = min(len(text), start + max_chars)
+            end = max(done + 1, limit)
         out.append((start, end))
         done, start = end, max(0, end - overlap)
+        # lines repeated must leave one for what is new
+        first = bisect_right(breaks, start)
+        spare = bisect_right(breaks, done) - first - (max_lines - 1) + (1 if done < len(text) and text[done] in "\r\n" else 0)
+        if spare > 0 and done < len(text):
+            start = min(done, breaks[first + spare - 1])
     return out
 
 
@@ -73,12 +90,12 @@ def split_code(text: str, max_chars: int, max_lines: int, overlap_lines: int) ->
 
     Pieces are whole lines without the last line's break, cut at definitions, else blank lines, else any line; only a
     line that is itself too long is cut inside. A piece repeats the last ``overlap_lines`` lines of the one before, or
-    as many of them as take at most half of the limits.
+    as many of them as leave room for the next part under the limits.
     """
     starts = [0, *[m.end() for m in BREAK.finditer(text)]]
     stops = [*[m.start() for m in BREAK.finditer(text)], len(text)]
     line_at = lambda pos: bisect_right(starts, pos) - 1
-    overlap_lines = max(0, min(overlap_lines, max_lines // 2))
+    overlap_lines = max(0, min(overlap_lines, max_lines - 1))
     room_lines, room_chars = max(1, max_lines - overlap_lines), max(1, max_chars - (max_chars // 2 if overlap_lines else 0))
 
     def fits(lo: int, hi: int) -> bool:
@@ -108,8 +125,11 @@ def split_code(text: str, max_chars: int, max_lines: int, overlap_lines: int) ->
         nxt = line_at(done)
         start = done
         if starts[nxt] == done:
+            e = ends[bisect_right(ends, done)]
+            last = line_at(max(done, e - 1))
+            stop = min(e, stops[last]) if stops[last] > done else e
             for n in range(1, overlap_lines + 1):
-                if nxt - n < 0 or done - starts[nxt - n] > max_chars // 2:
+                if nxt - n < 0 or stop - starts[nxt - n] > max_chars or last - (nxt - n) >= max_lines:
                     break
                 start = starts[nxt - n]
     return out
@@ -123,12 +143,13 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 cut = split_code(r.text, int(r.max_chars), int(r.max_lines), int(r.overlap_lines))
                 base = None if pd.isna(r.first) else int(r.first)
                 for i, (a, b, l0, l1) in enumerate(cut):
-                    rows.append((r.chunk_kind, r.chunk_id, i, len(cut), r.text[a:b], a, b, base if base is None else base + l0, base if base is None else base + l1))
+                    shared = 0 if i == 0 else max(0, cut[i - 1][3] - l0 + 1 if a < cut[i - 1][1] else 0)
+                    rows.append((r.chunk_kind, r.chunk_id, i, len(cut), r.text[a:b], a, b, base if base is None else base + l0, base if base is None else base + l1, shared))
             else:
-                cut = split_text(r.text, int(r.max_chars), int(r.overlap_chars))
+                cut = split_text(r.text, int(r.max_chars), int(r.overlap_chars), int(r.max_lines))
                 base = None if pd.isna(r.first) else int(r.first)
                 for i, (a, b) in enumerate(cut):
-                    rows.append((r.chunk_kind, r.chunk_id, i, len(cut), r.text[a:b], base if base is None else base + a, base if base is None else base + b, None, None))
+                    rows.append((r.chunk_kind, r.chunk_id, i, len(cut), r.text[a:b], base if base is None else base + a, base if base is None else base + b, None, None, 0 if i == 0 else cut[i - 1][1] - a))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE_SCHEMA.split(", ")])
         for c in ("char_start", "char_end", "start_line", "end_line"):
             out[c] = out[c].astype("Int64")
@@ -144,12 +165,17 @@ def split_oversized(text_chunks: DataFrame, code_chunks: DataFrame, chunk_limits
     Over: more code points than ``max_chars``, or more lines (line breaks, CRLF being one, plus one) than
     ``max_lines``; a null limit doesn't apply. Positions: of text pieces ``char_start``/``char_end`` in the document
     (null where the chunk's start is null), of code pieces ``start_line``/``end_line`` in the file and
-    ``char_start``/``char_end`` in the chunk. A redelivered chunk is cut once; null and empty texts are never over.
+    ``char_start``/``char_end`` in the chunk. ``overlap`` is what a piece shares with the one before: characters of text,
+    lines of code. A redelivered chunk is cut once (the least text, should they differ); null and empty texts are never
+    over; of several limits of a kind the least holds, and limits of other kinds hold for nothing.
 
     The test runs in the JVM and only oversized chunks reach Python; a chunk is cut alone, so no shuffle is needed but
     the one that drops redelivered chunks, over oversized rows alone.
     """
-    limits = F.broadcast(chunk_limits.dropDuplicates(["chunk_kind"]).limit(2))  # two kinds, so two rows
+    known = chunk_limits.where(F.col("chunk_kind").isin("text", "code"))
+    limits = F.broadcast(  # one row for each of two kinds
+        known.groupBy("chunk_kind").agg(*[F.min(c).alias(c) for c in ("max_chars", "max_lines", "overlap_chars", "overlap_lines")])
+    )
     parts = []
     for kind, df, first in (("text", text_chunks, "char_start"), ("code", code_chunks, "start_line")):
         parts.append(
@@ -167,6 +193,8 @@ def split_oversized(text_chunks: DataFrame, code_chunks: DataFrame, chunk_limits
             "chunk_kind", "chunk_id", "text", "first",
             *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("max_chars", _UNBOUNDED), ("max_lines", _UNBOUNDED), ("overlap_chars", 0), ("overlap_lines", 0))],
         )
-        .dropDuplicates(["chunk_kind", "chunk_id"])
+        .groupBy("chunk_kind", "chunk_id")
+        .agg(F.min(F.struct("text", "first", "max_chars", "max_lines", "overlap_chars", "overlap_lines")).alias("r"))
+        .select("chunk_kind", "chunk_id", "r.*")
     )
     return over.mapInPandas(_pieces, PIECE_SCHEMA)
