@@ -20,14 +20,14 @@ from grainstore.session import written
 class NearDuplicateConfig:
     """``shingle`` words a run, Jaccard ``threshold``; ``bands`` of ``rows`` MinHash values make the candidates.
 
-    With 40 bands of 4 a pair at exactly 0.6 becomes a candidate with probability 0.996, at 0.65 with 0.9996.
+    With 60 bands of 4 a pair at exactly 0.6 becomes a candidate with probability 0.9998, at 0.65 with 0.99999.
     ``compare`` values are compared, ``step`` at a time; a pair is dropped when the posterior probability that its
     similarity reaches the threshold, under a uniform prior, is below ``tolerance``.
     """
 
     shingle: int = 3
     threshold: float = 0.6
-    bands: int = 40
+    bands: int = 60
     rows: int = 4
     compare: int = 64
     step: int = 16
