@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from grainstore.llm.conversations import conversation_segments, conversations, judged_threads
 from grainstore.llm.credentials import credentials
+from grainstore.llm.languages import language_spans, mislabelled
 from grainstore.llm.leakage import leakage_report, leaked_passages
+from grainstore.llm.mixing import mix_sources
 from grainstore.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs, near_duplicates
+from grainstore.llm.pairs import broken_pairs
+from grainstore.llm.source_files import not_hand_written
 from grainstore.llm.splitting import split_oversized
 from grainstore.session import table
 
@@ -23,6 +27,10 @@ def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations(segments, table(spark, d, "threads"), table(spark, d, "turns"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return broken_pairs(table(spark, d, "turns")).select("turn_id", "defect")
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(*(table(spark, d, t) for t in ("text_chunks", "code_chunks", "chunk_limits")))
 
@@ -35,6 +43,10 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_hand_written(table(spark, d, "code_chunks")).select("repo_id", "path")
+
+
 def _near(spark: SparkSession, d: str):
     return near_duplicates([table(spark, d, t).select("chunk_id", "text") for t in ("code_chunks", "text_chunks")])
 
@@ -67,7 +79,33 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage_report(_leaks(spark, d), table(spark, d, "eval_cases"))
 
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_pieces, p5_found, p5_groups, p7_found, p7_redacted, p8_found, p8_report)}
+def _mix(spark: SparkSession, d: str):
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).documents
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mislabelled(table(spark, d, "documents")).select("doc_id", "lang")
+
+
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    return language_spans(table(spark, d, "documents"))
+
+
+_QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_conversations, p2_found, p3_found, p3_pieces, p4_found, p5_found, p5_groups, p7_found, p7_redacted,
+        p8_found, p8_report, p9_shares, p9_mix, p10_found, p10_spans,
+    )
+}
 
 
 def queries():
@@ -107,10 +145,11 @@ size AS (SELECT tbl, chunk_id, count(*) AS n FROM runs GROUP BY ALL)
 
 
 _LEAKS = """
-dw AS (SELECT DISTINCT doc_id, array_to_string(regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}_]+'), '') AS sq FROM documents),
+dw AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}_]+') AS ws FROM documents),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i+11], ' '))) AS g FROM dw),
 iw AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(passage)), '[\\p{L}\\p{N}_]+') AS ws FROM eval_cases),
-ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i+11], ''))) AS g FROM iw),
-leaks AS (SELECT doc_id, item_id, count(*) AS windows FROM dw JOIN ig ON contains(dw.sq, ig.g) GROUP BY ALL)
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i+11], ' '))) AS g FROM iw),
+leaks AS (SELECT doc_id, item_id, count(*) AS windows FROM dg JOIN ig USING (g) GROUP BY ALL)
 """
 
 
