@@ -6,13 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from grainstore.llm.turns import event_time, is_blank, role_of, turn_text
-from grainstore.session import scratch
+from grainstore.session import scratch, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CONTROL = -(2**62)
 _END = "9000-01-01 00:00:00"
+#: Latest event time of a turn; later ones share its window, where they are still ordered by their own times.
+_LAST = "8000-01-01 00:00:00Z"
 
 
 @dataclass(frozen=True)
@@ -25,10 +28,6 @@ class ConversationConfig:
     files_per_batch: int | None = None
 
 
-class LateRowsDropped(RuntimeError):
-    """Turns came later than the watermark allows; nothing is lost silently."""
-
-
 def _segment_columns(turns: Column) -> dict[str, Column]:
     """What one closed segment says of its thread; ``turns`` is its ordered array of (ts, id, role)."""
     role = F.transform(turns, lambda t: t["role"])
@@ -45,13 +44,33 @@ def _segment_columns(turns: Column) -> dict[str, Column]:
     }
 
 
+def _counted(turns: DataFrame) -> DataFrame:
+    """(thread_id, id, role, ts, at) of the turns that count; ``at`` is the event time that windows go by."""
+    text = turn_text(F.col("content"), F.col("payload_json"))
+    ts = event_time(F.col("created_at"))
+    rows = turns.select("thread_id", "id", role_of(F.col("role")).alias("role"), ts.alias("ts"), (~is_blank(text)).alias("counts"))
+    rows = rows.withColumn("at", F.when(F.col("id") == _CONTROL, F.col("ts")).otherwise(F.least("ts", F.lit(_LAST).cast("timestamp"))))
+    return rows.where(F.col("thread_id").isNotNull() & F.col("counts") & (F.col("role") != "system"))
+
+
+def _segments(rows: DataFrame, config: ConversationConfig) -> DataFrame:
+    return (
+        rows.groupBy("thread_id", F.window("at", config.segment))
+        .agg(F.sort_array(F.collect_set(F.struct("ts", "id", "role"))).alias("turns"))
+        .select("thread_id", F.col("window.start").alias("segment"), "turns")
+        .withColumns(_segment_columns(F.col("turns")))
+    )
+
+
 def conversation_segments(spark: SparkSession, turns_path: str, config: ConversationConfig = ConversationConfig()) -> DataFrame:
     """Closed and validated segments of all threads, as emitted by a streaming query over the table at ``turns_path``.
 
     Keyed state: one entry per thread and event-time window, holding the (time, id, role) of the turns that count; a
     redelivered turn is kept once. The watermark trails the latest event by ``lateness``; late arrivals are buffered
     until it passes a window's end (closure), and the end of the input closes whatever is left (timeout: a control
-    row moves the watermark to the end of time, where its own window never closes). Texts stay in the table and are joined by id, so state stays small; a
+    row moves the watermark to the end of time, where its own window never closes). Turns later than that are counted by
+    a listener over all batches, and the segments they belong to are made anew from all their turns. Unreadable times
+    come first, times after the year 8000 last. Texts stay in the table and are joined by id, so state stays small; a
     thread with a third of all rows is spread over its windows. Null thread ids belong to no thread.
     """
     schema = spark.read.parquet(turns_path).select("id", "thread_id", "role", "content", "payload_json", "created_at").schema
@@ -65,32 +84,54 @@ def conversation_segments(spark: SparkSession, turns_path: str, config: Conversa
     p = jvm.org.apache.hadoop.fs.Path(turns_path)
     single = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
     source = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(turns_path)
-    text = turn_text(F.col("content"), F.col("payload_json"))
-    rows = (
-        source.unionByName(spark.readStream.schema(schema).parquet(control))
-        .select("thread_id", "id", role_of(F.col("role")).alias("role"), event_time(F.col("created_at")).alias("ts"), (~is_blank(text)).alias("counts"))
-        .where(F.col("thread_id").isNotNull() & F.col("counts") & (F.col("role") != "system"))
-        .withWatermark("ts", config.lateness)
-        .groupBy("thread_id", F.window("ts", config.segment))
-        .agg(F.sort_array(F.collect_set(F.struct("ts", "id", "role"))).alias("turns"))
-        .select("thread_id", F.col("window.start").alias("segment"), "turns")
-        .withColumns(_segment_columns(F.col("turns")))
-    )
+    stream = _counted(source.unionByName(spark.readStream.schema(schema).parquet(control)))
+    rows = _segments(stream.withWatermark("at", config.lateness), config)
+    late = _LateRows()
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.streams.addListener(late)
     try:
         for closing in (False, True, True):  # a watermark takes effect in the batch after the one that raised it
             if closing:
                 end = [(0, _CONTROL, "user", "end", None, _END)]
                 spark.createDataFrame(end, schema).coalesce(1).write.mode("append").parquet(control)
             q = rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", ckpt).trigger(availableNow=True).start(out)
+            late.query = q.id
             q.awaitTermination()
-            dropped = sum(s.numRowsDroppedByWatermark for prog in q.recentProgress for s in prog.stateOperators)
-            if dropped:
-                raise LateRowsDropped(f"{dropped} turns came later than {config.lateness}")
+            late.rows += sum(x.numRowsDroppedByWatermark for prog in q.recentProgress for x in prog.stateOperators)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
     finally:
+        spark.streams.removeListener(late)
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    return spark.read.schema(rows.schema).parquet(out)
+    closed = spark.read.schema(rows.schema).parquet(out)
+    return _corrected(closed, _counted(spark.read.schema(schema).parquet(turns_path)), config) if late.rows else closed
+
+
+class _LateRows(StreamingQueryListener):
+    """Counts the rows that all batches of a query drop as late."""
+
+    def __init__(self):
+        self.rows, self.query = 0, None
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if self.query is None or event.progress.id == self.query:
+            self.rows += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def _corrected(closed: DataFrame, rows: DataFrame, config: ConversationConfig) -> DataFrame:
+    """Segments with those that turns came too late for made anew from all their turns; no row is lost to lateness."""
+    held = closed.select("thread_id", F.explode("turns").alias("t")).select("thread_id", F.col("t.id").alias("id"))
+    segment = F.window("at", config.segment)["start"].alias("segment")
+    missed = rows.join(held, ["thread_id", "id"], "left_anti").select("thread_id", segment).distinct()
+    keyed = rows.select("*", segment)
+    again = _segments(keyed.join(missed, ["thread_id", "segment"], "left_semi").drop("segment"), config)
+    return written(closed.join(missed, ["thread_id", "segment"], "left_anti").unionByName(again.select(closed.columns)), "segments")
 
 
 def judged_threads(segments: DataFrame, threads: DataFrame) -> DataFrame:
@@ -136,5 +177,7 @@ def conversations(segments: DataFrame, threads: DataFrame, turns: DataFrame) ->
         .select("thread_id", "before", F.posexplode("turns").alias("i", "turn"))
         .select("thread_id", (F.col("before") + F.col("i") + 1).alias("position"), F.col("turn.id").alias("turn_id"), F.col("turn.role").alias("role"))
     )
-    texts = turns.groupBy(F.col("id").alias("turn_id"), "thread_id").agg(F.max(turn_text(F.col("content"), F.col("payload_json"))).alias("text"))
+    loaded = F.coalesce("loaded_at", F.lit("1970-01-01").cast("timestamp"))
+    text = turn_text(F.col("content"), F.col("payload_json"))
+    texts = turns.groupBy(F.col("id").alias("turn_id"), "thread_id").agg(F.max_by(text, F.when(text.isNotNull(), F.struct(loaded, text))).alias("text"))
     return placed.join(texts, ["turn_id", "thread_id"]).select("thread_id", "position", "turn_id", "role", "text")
