@@ -116,23 +116,27 @@ def direct_orphans(tables: dict[str, DataFrame], deletion_log: DataFrame, edges:
     return reduce(DataFrame.unionByName, out)
 
 
-def orphan_cascade(
-    tables: dict[str, DataFrame], deletion_log: DataFrame, edges: tuple[Edge, ...] = EDGES, max_rounds: int = 16
-) -> DataFrame:
+def orphan_cascade(tables: dict[str, DataFrame], deletion_log: DataFrame, edges: tuple[Edge, ...] = EDGES) -> DataFrame:
     """Direct and inherited orphans: the columns of ``direct_orphans`` plus ``origin`` and ``depth``.
 
     A record is orphaned when each of its rows is. Rows that refer to an orphaned record and are not orphans
-    themselves inherit that (reason ``inherited``). Each round semi-joins the children of the last round's finds; the
-    loop ends when a round finds none, at the latest after ``max_rounds`` (a cyclic graph cannot run on, since a row
-    is found once). Each round's finds are written to the shared folder, so lineage stays flat.
+    themselves inherit that (reason ``inherited``). Each round semi-joins the children of the last round's finds along
+    the edges whose target had any; the loop ends when a round finds none, however deep the chain (a cyclic graph cannot
+    run on, since a row is found once). Each round's finds are written to the shared folder, so lineage stays flat.
     """
     found = written(
         direct_orphans(tables, deletion_log, edges).withColumns({"origin": F.lit("direct"), "depth": F.lit(0)}), "orphans"
     )
-    frontier = found
-    for depth in range(1, max_rounds + 1):
+    frontier, depth = found, 0
+    while True:
+        depth += 1
+        # names of tables, few of them
+        hit = {r[0] for r in frontier.select("src_table").distinct().collect()}
+        live = [e for e in edges if e.target in hit]
+        if not live:
+            break
         finds = []
-        for edge in edges:
+        for edge in live:
             bad = frontier.where(F.col("src_table") == edge.target).select(F.col("own_key").alias("ref")).distinct()
             sound = (
                 tables[edge.target]
@@ -150,8 +154,6 @@ def orphan_cascade(
             found.select("src_table", "row_id", "ref"), ["src_table", "row_id", "ref"], "left_anti"
         )
         frontier = written(fresh.select(*found.columns[:6], F.lit("inherited").alias("origin"), F.lit(depth).alias("depth")), "orphans")
-        if frontier.isEmpty():
-            break
         found = found.unionByName(frontier)
     return found
 

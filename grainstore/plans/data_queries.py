@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainstore.operators.references import direct_orphans, orphan_cascade, orphan_report
+from grainstore.operators.references import orphan_cascade, orphan_report
 from grainstore.session import table
 
 _TABLES = ("uploads", "threads", "turns", "project_docs", "project_repos", "projects")
@@ -15,8 +15,8 @@ def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    found = direct_orphans(_tables(spark, d), table(spark, d, "deletion_log"))
-    return found.select("src_table", "row_id", "reason").distinct()
+    found = orphan_cascade(_tables(spark, d), table(spark, d, "deletion_log"))
+    return found.where("origin = 'direct'").select("src_table", "row_id", "reason").distinct()
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local runs) a folder of our own is made and set.
+    Only where that is unset and the master is local (tests) a folder of our own is made, set, and removed at the end;
+    on a cluster each executor would write to its own disk, so there the setting must be given.
     """
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if not at:
-        at = sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="grainstore-")
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="grainstore-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            at = "file://" + own
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir()
     return at
@@ -46,7 +57,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
+    at = os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
+    if _spaces:
+        _spaces[-1].append(at)
+    return at
+
+
+_spaces: list[list[str]] = []
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """All paths made inside are deleted at the end; results must be written or counted before that."""
+    _spaces.append([])
+    try:
+        yield
+    finally:
+        for at in _spaces.pop():
+            remove(spark, at)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
