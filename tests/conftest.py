@@ -1,13 +1,19 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+ROOT = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, ROOT)
+# Python workers import the package from here too
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")]).rstrip(os.pathsep)
 
 
 @pytest.fixture(scope="session")
 def spark():
     from grainstore.session import local_session
 
-    return local_session(2, 4, "2g")
+    s = local_session(4, 4, "3g")
+    s.sparkContext.setLogLevel("ERROR")
+    return s
