@@ -49,7 +49,7 @@ def _counted(turns: DataFrame) -> DataFrame:
     text = turn_text(F.col("content"), F.col("payload_json"))
     ts = event_time(F.col("created_at"))
     rows = turns.select("thread_id", "id", role_of(F.col("role")).alias("role"), ts.alias("ts"), (~is_blank(text)).alias("counts"))
-    rows = rows.withColumn("at", F.when(F.col("id") == _CONTROL, F.col("ts")).otherwise(F.least("ts", F.lit(_LAST).cast("timestamp"))))
+    rows = rows.withColumn("at", F.when(F.col("thread_id") == _CONTROL, F.col("ts")).otherwise(F.least("ts", F.lit(_LAST).cast("timestamp"))))
     return rows.where(F.col("thread_id").isNotNull() & F.col("counts") & (F.col("role") != "system"))
 
 

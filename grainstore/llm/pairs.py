@@ -376,7 +376,8 @@ def fit_pairs(pairs: list[tuple[str, str | None, str | None, str | None]], confi
             model.weights[label] = _train(train, y[~pick], config, label == "refusal", config.penalty if label == "refusal" else 1e-5)
             held = [f for f, p in zip(features, pick, strict=True) if p]
             scores = np.array([model.score(label, f) for f in held])
-            model.thresholds[label] = _threshold(scores, y[pick]) if len(held) and y[pick].any() else 0.0
+            # what is likelier sound than not is never flagged, however wide the gap
+            model.thresholds[label] = max(0.0, _threshold(scores, y[pick])) if len(held) and y[pick].any() else 0.0
         sound = [p for p in sound if model.judge(*p)[0] is None]
     return model
 

@@ -173,12 +173,12 @@ def files(code_chunks: DataFrame, config: SourceFileConfig = SourceFileConfig())
     return (
         chunk_features(code_chunks, config)
         .withColumn("next", nxt)
-        .withColumns({"h1": part(0), "h2": part(31)})
+        .withColumns({"h1": part(0), "h2": part(31), "n_own": F.size(own)})
         .groupBy("repo_id", "path")
         .agg(
             *[F.sum(c).alias(c) for c in sums],
             *[F.max(c).alias(c) for c in ("blob", "made", "foreign")],
-            F.xxhash64(F.sum("h1") % 2147483647, F.sum("h2") % 2147483647, F.max("start")).alias("hash"),
+            F.xxhash64(F.sum("h1") % 2147483647, F.sum("h2") % 2147483647, F.sum("n_own")).alias("hash"),
         )
     )
 
