@@ -22,7 +22,8 @@ class NearDuplicateConfig:
 
     With 60 bands of 4 a pair at exactly 0.6 becomes a candidate with probability 0.9998, at 0.65 with 0.99999.
     ``compare`` values are compared, ``step`` at a time; a pair is dropped when the posterior probability that its
-    similarity reaches the threshold, under a uniform prior, is below ``tolerance``.
+    similarity reaches the threshold, under a uniform prior, is below ``tolerance``. Buckets of more than ``block``
+    classes are compared block by block, each pair of blocks apart.
     """
 
     shingle: int = 3
@@ -33,6 +34,7 @@ class NearDuplicateConfig:
     step: int = 16
     tolerance: float = 1e-4
     broadcast_rows: int = 100_000
+    block: int = 1000
 
 
 _SIGNATURES = "cls long, check long, n int, chunk_id string, bands array<long>, sig binary"
@@ -157,6 +159,13 @@ class NearDuplicates:
     links: DataFrame
 
 
+def _in_blocks(crowded: DataFrame, config: NearDuplicateConfig) -> DataFrame:
+    """Members of buckets (key, cls, n) with the block each lies in (``at``) and the bucket's number of blocks, so that no
+    bucket, however many classes share its key, is compared in one task."""
+    blocks = F.ceil(F.col("n") / config.block).cast("int")
+    return crowded.select("key", "cls", F.pmod(F.xxhash64("cls", "key"), blocks).cast("int").alias("at"), blocks.alias("blocks"))
+
+
 def near_duplicates(tables: list[DataFrame], config: NearDuplicateConfig = NearDuplicateConfig()) -> NearDuplicates:
     """Links between chunks (chunk_id, text) of one table each whose sets of word runs have the given similarity.
 
@@ -177,20 +186,19 @@ def near_duplicates(tables: list[DataFrame], config: NearDuplicateConfig = NearD
     sigs = written(rows.mapInPandas(_signatures(config), _SIGNATURES), "signatures")
     classes = sigs.groupBy("cls", "check").agg(F.min("chunk_id").alias("rep"), F.countDistinct("chunk_id").alias("copies"))
     classes = written(classes, "classes")
+    if not classes.groupBy("cls").count().where("count > 1").isEmpty():
+        raise RuntimeError("two sets of runs have one 64-bit hash; give the table another salt")
     reps = sigs.join(classes.select("cls", "check", F.col("rep").alias("chunk_id")), ["cls", "check", "chunk_id"], "left_semi")
     keys = reps.select("cls", F.explode("bands").alias("key"))
     buckets = written(
         keys.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n")).where("a < b"), "buckets"
     )
-    crowded = keys.join(buckets.where("n > 2").select("key"), "key", "left_semi")
-    crowded = written(crowded.distinct(), "crowded")
-    candidates = (
-        buckets.where("n = 2").select("a", "b")
-        .unionByName(
-            crowded.select("key", F.col("cls").alias("a")).join(crowded.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
-        )
-        .distinct()
-    )
+    crowded = written(_in_blocks(keys.join(buckets.where("n > 2").select("key", "n"), "key").distinct(), config), "crowded")
+    last = F.col("blocks") - 1
+    left = crowded.select("key", F.col("cls").alias("x"), F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), last)).alias("j"))
+    right = crowded.select("key", F.col("cls").alias("y"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
+    within = left.join(right, ["key", "i", "j"]).where("i < j or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    candidates = buckets.where("n = 2").select("a", "b").unionByName(within).distinct()
     small = reps.select("cls", "n", "sig").dropDuplicates(["cls"])
     pruned = written(
         candidates.join(small.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
