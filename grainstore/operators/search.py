@@ -134,9 +134,11 @@ def path_hits(index: DataFrame, asked: DataFrame) -> DataFrame:
     every = index.select("repo_id").distinct().join(F.broadcast(asked.select("question_id")))
     rest = every.join(served, ["question_id", "repo_id"], "left_anti").join(index.select("repo_id", "path"), "repo_id")
     candidates = near.unionByName(rest.select("question_id", "repo_id", "path"))
-    joined = candidates.join(index, ["repo_id", "path"]).join(asked.select("question_id", "keywords"), "question_id")
-    matched = F.filter("keywords", lambda k: (F.length(k) > 0) & T.matches_path(k, F.col("path"), F.col("tokens")))
-    return joined.select("question_id", "repo_id", "path", matched.alias("matched_keywords")).where(F.size("matched_keywords") > 0)
+    # tokens of keywords are made once per question, below the join, not once per path
+    ready = F.transform(F.filter("keywords", lambda k: F.length(k) > 0), lambda k: F.struct(k.alias("word"), F.lower(k).alias("low"), T.search_tokens(k).alias("tokens")))
+    joined = candidates.join(index.withColumn("low_path", F.lower("path")), ["repo_id", "path"]).join(asked.select("question_id", ready.alias("ready")), "question_id")
+    matched = F.filter("ready", lambda k: F.col("low_path").contains(k["low"]) | (F.size(F.array_except(k["tokens"], F.col("tokens"))) == 0))
+    return joined.select("question_id", "repo_id", "path", F.transform(matched, lambda k: k["word"]).alias("matched_keywords")).where(F.size("matched_keywords") > 0)
 
 
 def keyword_hits(lines: DataFrame, paths: DataFrame, repos: int) -> DataFrame:
