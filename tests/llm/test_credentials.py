@@ -113,3 +113,29 @@ def test_any_text_is_scanned(spark, tmp_path):
     rows = [("c0", 10, None), (None, 1, "x"), ("c1", None, SECRET), ("c1", None, SECRET), ("c2", 3, "")]
     spark.createDataFrame(rows, "chunk_id string, start_line int, text string").write.parquet(f"{tmp_path}/code_chunks.parquet")
     assert [tuple(r) for r in queries()["p7_found"](spark, str(tmp_path)).collect()] == [("c1", 1)]
+
+
+@pytest.mark.parametrize(
+    ("line", "secret"),
+    [("# curl -u trace:fdtq0nS24za https://slot.example/outbox", "fdtq0nS24za"), ("curl -s \\\n  --user 'app:Qz81mmKd' https://h.example", "Qz81mmKd"), ("// test user for the demo: digest / tariff-batch-4927", "tariff-batch-4927"),
+     ("-- 임시 계정: trace / window-permit-6283", "window-permit-6283"), ("// 접속 정보: budget / sW5N7B7KC%Q8", "sW5N7B7KC%Q8"), ('const password: string = "aljoj$ytquscy";', "aljoj$ytquscy"),
+     ("outbox.datasourcePassword=iwPsJFoyNGRi", "iwPsJFoyNGRi"), ('hdr = "Basic YmFza2V0OiVNOEpuUDJkX1dsWA=="', "YmFza2V0OiVNOEpuUDJkX1dsWA=="), ('password = "$xK4!p0qzLm"', "$xK4!p0qzLm")],
+)
+def test_login_pairs_and_values_that_begin_like_placeholders(line, secret):
+    assert [line[f.start : f.end] for f in find_credentials(line)] == [secret]
+
+
+@pytest.mark.parametrize(
+    "line",
+    ['curl -u "$USER:$PASS" https://h', "curl -u user:${TOKEN} https://h", "curl -u user:password https://h", "tar -u a:b4c5d6e7 x", "# user name: first / lastname", "# users by day: 10 / 2024-05-01", 'password = "%(password)s"',
+     'password = "$dbPassword"', "password = '%s'", 'password = "my-password"', 'passwordField = "a value"', 'password = "userPasswordHash"', "# 계정: admin / <password>"],
+)
+def test_references_and_prose_in_login_places(line):
+    assert find_credentials(line) == []
+
+
+@pytest.mark.parametrize("text", ["curl " * 100_000, "curl " + "-u a:" * 100_000, "user " * 100_000, "user" + " " * 500_000, "계정" * 200_000, "user: a / " * 50_000, "curl " + "\\\n" * 200_000, "password=$" + "a" * 400_000, 'password="' + "aB" * 200_000 + '"', "user a b c d " * 40_000])
+def test_login_places_take_linear_time(text):
+    began = time.process_time()
+    find_credentials(text)
+    assert time.process_time() - began < 3
