@@ -65,3 +65,47 @@ def test_line_counts_are_those_of_the_lines(spark, tables):
         got = S.keyword_line_counts(code, asked, S.SearchConfig(block=block))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))
     assert S.keyword_line_counts(code, asked.where("question_id = 3")).count() == 0
+
+
+def test_keyword_limits_shuffles_no_line_per_question(spark, tables):
+    assert _written(spark, tables, "keyword_limits") < 4
+
+
+def test_hits_are_the_first_of_all_hits(spark, tables):
+    code = spark.read.parquet(f"{tables}/code_chunks.parquet").withColumn("repo_id", F.when(F.col("repo_id") != "repo07", F.col("repo_id")))
+    rare = spark.createDataFrame([("x1", f"repo{i:02}", "app/Rareword.py", "python", 1, 1, "only Rareword") for i in range(3, 28)], CODE)
+    code = code.unionByName(rare).repartition(7)
+    asked = S.understood(spark.createDataFrame([(1, "word1 word2"), (2, "Rareword"), (3, "rareword word5 word6"), (4, "file3"), (5, "단어 검색"), (6, None)], "question_id long, question string"))
+    index = S.path_index(code)
+    for block in (5000, 2):
+        with scratch_space(spark):
+            repos = index.select("repo_id").distinct().count()
+            columns = ["question_id", "source", "repo_id", "path", "line", "text", "matched_keywords", "ord"]
+            want = S.keyword_hits(S.keyword_lines(code, asked), S.path_hits(index, asked), repos).select(columns).collect()
+            got = S.lexical_hits(code, index, asked, S.SearchConfig(block=block)).select(columns).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 400
+
+
+@pytest.mark.parametrize("limits", [(2, 5), (1, 3), (3, 100)])
+def test_what_a_task_leaves_out_is_not_in_the_answer(limits):
+    rng = random.Random(5)
+    for _ in range(200):
+        hits = [(rng.randrange(3), S._ordered(rng.choice([None, "a", "b", "c", "d"])), rng.randrange(12)) for _ in range(rng.randrange(80))]
+
+        def best(rows):
+            out = set()
+            for q in range(3):
+                mine = []
+                for repo in sorted({r for p, r, _ in rows if p == q}):
+                    mine += [(q, repo, k) for k in sorted({k for p, r, k in rows if p == q and r == repo})[: limits[0]]]
+                out |= set(mine[: limits[1]])
+            return out
+
+        kept = set()
+        for part in (hits[::2], hits[1::2]):
+            first = S._First(3, *limits)
+            for q, repo, k in part:
+                if not first.beyond(repo):
+                    first.add(q, repo, k)
+            kept |= {(q, S._ordered(repo), k) for q, repo, k, _ in first.rows()}
+        assert best(kept) == best(hits)
