@@ -109,3 +109,7 @@ def test_what_a_task_leaves_out_is_not_in_the_answer(limits):
                     first.add(q, repo, k)
             kept |= {(q, S._ordered(repo), k) for q, repo, k, _ in first.rows()}
         assert best(kept) == best(hits)
+
+
+def test_rerank_shuffles_no_line_per_question(spark, tables):
+    assert _written(spark, tables, "rerank") < 4
