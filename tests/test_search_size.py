@@ -113,3 +113,7 @@ def test_what_a_task_leaves_out_is_not_in_the_answer(limits):
 
 def test_rerank_shuffles_no_line_per_question(spark, tables):
     assert _written(spark, tables, "rerank") < 4
+
+
+def test_eval_top1_shuffles_no_line_per_question(spark, tables):
+    assert _written(spark, tables, "eval_top1") < 4
