@@ -117,3 +117,7 @@ def test_rerank_shuffles_no_line_per_question(spark, tables):
 
 def test_eval_top1_shuffles_no_line_per_question(spark, tables):
     assert _written(spark, tables, "eval_top1") < 4
+
+
+def test_interval_antijoin_shuffles_no_line_per_question(spark, tables):
+    assert _written(spark, tables, "interval_antijoin") < 4
