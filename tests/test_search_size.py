@@ -121,3 +121,7 @@ def test_eval_top1_shuffles_no_line_per_question(spark, tables):
 
 def test_interval_antijoin_shuffles_no_line_per_question(spark, tables):
     assert _written(spark, tables, "interval_antijoin") < 4
+
+
+def test_merge_hits_shuffles_no_line_per_question(spark, tables):
+    assert _written(spark, tables, "merge_hits") < 4
