@@ -125,3 +125,7 @@ def test_interval_antijoin_shuffles_no_line_per_question(spark, tables):
 
 def test_merge_hits_shuffles_no_line_per_question(spark, tables):
     assert _written(spark, tables, "merge_hits") < 4
+
+
+def test_score_hits_shuffles_no_line_per_question(spark, tables):
+    assert _written(spark, tables, "score_hits") < 4
