@@ -129,3 +129,7 @@ def test_merge_hits_shuffles_no_line_per_question(spark, tables):
 
 def test_score_hits_shuffles_no_line_per_question(spark, tables):
     assert _written(spark, tables, "score_hits") < 4
+
+
+def test_hybrid_search_shuffles_no_line_per_question(spark, tables):
+    assert _written(spark, tables, "hybrid_search") < 8
