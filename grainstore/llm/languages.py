@@ -48,12 +48,10 @@ _OUT = -9.0  # score of a language that the word's script excludes; finite, so t
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """``fit_rows``: texts the word scores are fitted on, at most, of ``fit_chars`` characters at most; ``switch``: what a change of language costs;
-    ``rounds``: times the scores are fitted anew to what they label; ``longest`` n-gram of a word."""
+    """``switch``: what a change of language costs; ``words`` that the counts of a table are scaled to; ``rounds``: times the scores are fitted anew to what they label; ``longest`` n-gram of a word."""
 
-    fit_rows: int = 1000
-    fit_chars: int = 50_000
     switch: float = 6.0
+    words: int = 250_000
     rounds: int = 3
     longest: int = 4
     cap: float = 4.0
@@ -135,52 +133,112 @@ def normal(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
+_AT = {x: i for i, x in enumerate(LANGUAGES)}
+_KNOWN = {w: np.array([w in SEEDS[x] for x in LANGUAGES], float) for x in LANGUAGES for w in SEEDS[x]}
+_UNIT = 1_000_000  # of a weight; whole numbers have one sum in any order
+
+
+def _lines_of(text: str) -> Iterator[Counter]:
+    """The words of each line of prose that has at least four."""
+    for _, line in prose_lines(normal(text)):
+        words = WORD.findall(line.lower())
+        if len(words) >= 4:
+            yield Counter(words)
+
+
+def _label_of(words: Counter, model: LanguageModel | None) -> int:
+    """The language of a line by the model, or without one by function words and script; -1 if there are none."""
+    if model is not None:
+        return int(np.argmax(sum(np.maximum(model.score(w), -4.0) * n for w, n in words.items())))
+    votes = np.zeros(len(LANGUAGES))
+    for w, n in words.items():
+        allowed = candidates(w)
+        if allowed.sum() == 1:
+            votes += 3 * n * allowed
+        elif w in _KNOWN:
+            votes += n * _KNOWN[w] * allowed
+        elif ord(w[0]) >= 0x3000:
+            votes[_AT["zh"]] += 0.3 * n * sum(c in "的了是在不这把和会就请" for c in w)
+            votes[_AT["zh"]] += 0.1 * n * len(w)
+    return int(votes.argmax()) if votes.max() > 0 else -1
+
+
+def _weights(counted: Iterator[tuple[int, str, int]], longest: int, scale: float = 1.0) -> Counter:
+    """The weight of each (gram, label) of words counted by label, the counts taken times ``scale``."""
+    out: Counter = Counter()
+    for label, w, n in counted:
+        if candidates(w)[label]:
+            unit = round(min(n * scale, 50) ** 0.5 * _UNIT)
+            for g in _grams(w, longest):
+                out[g, label] += unit
+    return out
+
+
+def _model(weights: Iterator[tuple[str, int, int]], config: LanguageConfig) -> LanguageModel:
+    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES), np.int64))
+    for x, words in SEEDS.items():
+        for w in words:
+            for g in _grams(w, config.longest):
+                counts[g][_AT[x]] += 3 * _UNIT
+    for g, label, n in weights:
+        counts[g][label] += n
+    total = sum(counts.values()) / _UNIT + 0.5 * len(counts)
+    return LanguageModel({g: np.log((c / _UNIT + 0.5) / total) for g, c in counts.items()}, np.log(0.5 / total), config)
+
+
 def fit(texts: list[str], config: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """Word scores out of unlabelled texts: lines are labelled by function words and script, then by the scores
     fitted to them, ``rounds`` times over."""
-    lines = []
-    for t in texts:
-        for _, line in prose_lines(normal(t)):
-            words = WORD.findall(line.lower())
-            if len(words) >= 4:
-                lines.append(Counter(words))
-    known = {w: np.array([w in SEEDS[x] for x in LANGUAGES], float) for x in LANGUAGES for w in SEEDS[x]}
-    at = {x: i for i, x in enumerate(LANGUAGES)}
-    labels = []
-    for words in lines:
-        votes = np.zeros(len(LANGUAGES))
-        for w, n in words.items():
-            allowed = candidates(w)
-            if allowed.sum() == 1:
-                votes += 3 * n * allowed
-            elif w in known:
-                votes += n * known[w] * allowed
-            elif ord(w[0]) >= 0x3000:
-                votes[at["zh"]] += 0.3 * n * sum(c in "的了是在不这把和会就请" for c in w)
-                votes[at["zh"]] += 0.1 * n * len(w)
-        labels.append(int(votes.argmax()) if votes.max() > 0 else -1)
+    lines = [words for t in texts for words in _lines_of(t)]
     model = None
     for _ in range(config.rounds):
-        counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
-        for x, words in SEEDS.items():
-            for w in words:
-                for g in _grams(w, config.longest):
-                    counts[g][at[x]] += 3
-        per = [Counter() for _ in LANGUAGES]
-        for words, label in zip(lines, labels, strict=True):
-            if label >= 0:
-                per[label].update(words)
-        for i, words in enumerate(per):
-            for w, n in words.items():
-                if candidates(w)[i]:
-                    for g in _grams(w, config.longest):
-                        counts[g][i] += min(n, 50) ** 0.5
-        total = sum(counts.values()) + 0.5 * len(counts)
-        model = LanguageModel({g: np.log((c + 0.5) / total) for g, c in counts.items()}, np.log(0.5 / total), config)
-        labels = []
+        per: Counter = Counter()
         for words in lines:
-            s = sum(np.maximum(model.score(w), -4.0) * n for w, n in words.items())
-            labels.append(int(np.argmax(s)))
+            if (label := _label_of(words, model)) >= 0:
+                for w, n in words.items():
+                    per[label, w] += n
+        weights = _weights(((x, w, n) for (x, w), n in per.items()), config.longest)
+        model = _model(((g, x, n) for (g, x), n in weights.items()), config)
+    return model
+
+
+def _words_by_label(model: LanguageModel | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            per: Counter = Counter()
+            for text in pdf["text"]:
+                for words in _lines_of(text):
+                    if (label := _label_of(words, model)) >= 0:
+                        for w, n in words.items():
+                            per[label, w] += n
+            yield pd.DataFrame([(x, w, n) for (x, w), n in per.items()], columns=["label", "word", "n"])
+
+    return run
+
+
+def _weights_of_words(longest: int, scale: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = _weights(zip(pdf["label"].tolist(), pdf["word"], pdf["n"].tolist(), strict=True), longest, scale)
+            yield pd.DataFrame([(g, x, n) for (g, x), n in found.items()], columns=["gram", "label", "weight"])
+
+    return run
+
+
+def fit_documents(documents: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageModel:
+    """``fit`` to all texts of the table: each of the ``rounds`` reads it once; the grams go to the driver with their weights.
+
+    Counts are scaled to those of ``words`` words, or lines labelled wrongly would fill up every word in every language.
+    """
+    from grainstore.session import written
+
+    texts = documents.where(F.length("text") > 0).select("text")
+    model = None
+    for _ in range(config.rounds):
+        words = written(texts.mapInPandas(_words_by_label(model), "label int, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n")), "words")
+        scale = min(1.0, config.words / max(1, words.agg(F.sum("n")).first()[0] or 0))
+        grams = words.mapInPandas(_weights_of_words(config.longest, scale), "gram string, label int, weight long").groupBy("gram", "label").agg(F.sum("weight").alias("weight"))
+        model = _model(((r.gram, r.label, r.weight) for r in grams.collect()), config)
     return model
 
 
@@ -300,12 +358,6 @@ def named_language(label: Column) -> Column:
     return out
 
 
-def sample_texts(documents: DataFrame, config: LanguageConfig) -> list[str]:
-    """At most ``fit_rows`` texts, those that hash lowest; the same ones at every partitioning. They only fit the scores."""
-    rows = documents.where(F.length("text").between(1, config.fit_chars)).select(F.xxhash64("text").alias("h"), "text")
-    return [r.text for r in rows.orderBy("h").limit(config.fit_rows).select("text").collect()]
-
-
 _SPANS = "doc_id long, span int, char_start int, char_end int, lang string, confidence double"
 
 
@@ -332,17 +384,17 @@ def language_spans(documents: DataFrame, config: LanguageConfig = LanguageConfig
     Span 0 is the whole document: ``lang`` holds all languages in the text, joined by commas (empty where there are
     none), ``confidence`` that of the least certain. Script ranges leave each word its candidates; words are scored by
     n-grams; Viterbi with a penalty per switch labels them. Positions count code points of the NFC form. Null and
-    empty texts have span 0 alone. The scores are fitted on at most ``fit_rows`` texts; every text is labelled whole,
+    empty texts have span 0 alone. The scores are fitted to all texts; every text is labelled whole,
     in its own partition, without a shuffle.
     """
-    model = model or fit(sample_texts(documents, config), config)
+    model = model or fit_documents(documents, config)
     return documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(_label(model), _SPANS)
 
 
 def mislabelled(documents: DataFrame, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """(doc_id, lang, confidence): one row per language in the text of documents whose label is missing, meaningless
     or names a language that isn't in the text, and of documents with two or more languages."""
-    model = fit(sample_texts(documents, config), config)
+    model = fit_documents(documents, config)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -75,3 +75,12 @@ def test_operator(spark):
     text = f"{EN}\n{KO}"
     assert text[spans[2].char_start : spans[2].char_end].startswith("서버는") and all(0 <= s.confidence <= 1 for s in spans)
     assert L.mislabelled(df.where("false")).count() == 0 and L.language_spans(df.where("false")).count() == 0
+
+
+def test_all_texts_are_fitted_to(spark):
+    texts = [t for t in ALL.values() for _ in range(400)]
+    texts.append("zzgrault " * 30 + "and the garply is not in this. " + "x " * 60_000)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "doc_id long, text string").repartition(5)
+    model, whole = L.fit_documents(docs), L.fit(texts)
+    assert model.grams.keys() == whole.grams.keys() and all((model.grams[g] == whole.grams[g]).all() for g in whole.grams)
+    assert "<zzgrault>" in model.grams
