@@ -2,11 +2,13 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from grainstore.operators import search as S
+from grainstore.plans import search_queries
 from grainstore.session import scratch_space
 
 WORDS = [f"word{i}" for i in range(24)]
@@ -133,3 +135,30 @@ def test_score_hits_shuffles_no_line_per_question(spark, tables):
 
 def test_hybrid_search_shuffles_no_line_per_question(spark, tables):
     assert _written(spark, tables, "hybrid_search") < 8
+
+
+@pytest.fixture(scope="module")
+def long_file(spark, tables, tmp_path_factory):
+    """One file of 400 chunks in which all questions have lines."""
+    d = str(tmp_path_factory.mktemp("long"))
+    rng = random.Random(3)
+    rows = [
+        (f"c{i}", "repo00", "app/long.py", "python", 40 * i + 1, 40 * i + 41, "\n".join(" ".join(rng.choices(WORDS, k=2)) + f" {rng.getrandbits(160):x}" for _ in range(41)))
+        for i in range(400)
+    ]
+    spark.createDataFrame(rows + rows[:20], CODE).repartition(6).write.parquet(f"{d}/code_chunks.parquet")
+    spark.read.parquet(f"{tables}/eval_cases.parquet").write.parquet(f"{d}/eval_cases.parquet")
+    return d
+
+
+def test_interval_antijoin_shuffles_no_chunk_per_question(spark, long_file):
+    assert _written(spark, long_file, "interval_antijoin") < 20
+
+
+def test_the_nearest_chunks_of_a_task_come_once():
+    rows = [(q, f"c{i:02}", "r", "p", float(i % 3)) for i in range(40) for q in (1, 2)]
+    pdf = pd.DataFrame(rows + rows[:10], columns=["question_id", "chunk_id", "repo_id", "path", "distance"])
+    (got,) = search_queries._least(15)(iter([pdf[:30], pdf[30:70], pdf[70:]]))
+    want = sorted({(q, d, c) for q, c, _, _, d in rows})
+    assert sorted(got[["question_id", "distance", "chunk_id"]].itertuples(index=False, name=None)) == [x for q in (1, 2) for x in [y for y in want if y[0] == q][:15]]
+    assert list(search_queries._least(15)(iter([]))) == []
