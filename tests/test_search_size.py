@@ -162,3 +162,7 @@ def test_the_nearest_chunks_of_a_task_come_once():
     want = sorted({(q, d, c) for q, c, _, _, d in rows})
     assert sorted(got[["question_id", "distance", "chunk_id"]].itertuples(index=False, name=None)) == [x for q in (1, 2) for x in [y for y in want if y[0] == q][:15]]
     assert list(search_queries._least(15)(iter([]))) == []
+
+
+def test_merge_hits_shuffles_no_chunk_per_question(spark, long_file):
+    assert _written(spark, long_file, "merge_hits") < 20
