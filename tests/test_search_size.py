@@ -166,3 +166,7 @@ def test_the_nearest_chunks_of_a_task_come_once():
 
 def test_merge_hits_shuffles_no_chunk_per_question(spark, long_file):
     assert _written(spark, long_file, "merge_hits") < 20
+
+
+def test_rerank_shuffles_no_chunk_per_question(spark, long_file):
+    assert _written(spark, long_file, "rerank") < 20
