@@ -170,3 +170,7 @@ def test_merge_hits_shuffles_no_chunk_per_question(spark, long_file):
 
 def test_rerank_shuffles_no_chunk_per_question(spark, long_file):
     assert _written(spark, long_file, "rerank") < 20
+
+
+def test_score_hits_shuffles_no_chunk_per_question(spark, long_file):
+    assert _written(spark, long_file, "score_hits") < 20
