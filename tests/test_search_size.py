@@ -174,3 +174,7 @@ def test_rerank_shuffles_no_chunk_per_question(spark, long_file):
 
 def test_score_hits_shuffles_no_chunk_per_question(spark, long_file):
     assert _written(spark, long_file, "score_hits") < 20
+
+
+def test_eval_top1_shuffles_no_chunk_per_question(spark, long_file):
+    assert _written(spark, long_file, "eval_top1") < 20
