@@ -178,3 +178,36 @@ def test_score_hits_shuffles_no_chunk_per_question(spark, long_file):
 
 def test_eval_top1_shuffles_no_chunk_per_question(spark, long_file):
     assert _written(spark, long_file, "eval_top1") < 20
+
+
+@pytest.fixture(scope="module")
+def long_lines(spark, tables, tmp_path_factory):
+    """150 lines of 4,000 characters in which nearly all questions have a word; a file of each repository has two texts for one line."""
+    d = str(tmp_path_factory.mktemp("lines"))
+    rng = random.Random(4)
+    line = lambda i: f"  {' '.join(rng.sample(WORDS, 8))} {rng.getrandbits(16000):x}"
+    rows = [(f"c{i}", f"repo{i // 50}", f"app/{WORDS[i % 7]}/file{i}.py", "python", 5, 5, line(i)) for i in range(150)]
+    rows += [(f"x{i}", f"repo{i}", f"app/{WORDS[50 * i % 7]}/file{50 * i}.py", "python", 4, 6, f"a\r\n{line(i)}\r\nb") for i in range(3)]
+    spark.createDataFrame(rows + rows[:20], CODE).repartition(6).write.parquet(f"{d}/code_chunks.parquet")
+    spark.read.parquet(f"{tables}/eval_cases.parquet").write.parquet(f"{d}/eval_cases.parquet")
+    return d
+
+
+def test_scores_of_marks_are_those_of_texts(spark, long_lines):
+    code = spark.read.parquet(f"{long_lines}/code_chunks.parquet").withColumn("repo_id", F.when(F.col("repo_id") != "repo1", F.col("repo_id")))
+    asked = S.understood(spark.createDataFrame(
+        [(1, "word1 Word1 'word3 word'"), (2, "directory structure of word5 word_x"), (3, '"word2" `word4` FILE3 app/word2'), (4, None), (5, "missing")], "question_id long, question string"))
+    index = S.path_index(code)
+    columns = ["question_id", "rank", "source", "repo_id", "path", "line", "matched_keywords", "score"]
+    for block in (5000, 2):
+        with scratch_space(spark):
+            by = {}
+            for marks in (False, True):
+                found = S.lexical_hits(code, index, asked, S.SearchConfig(block=block), texts=not marks, marks=marks)
+                assert found.where("source = 'keyword' and text is not null").isEmpty() == marks
+                by[marks] = sorted(map(str, S.score_hits(S.merge_hits(found, found.where("false")), asked).select(columns).collect()))
+        assert by[True] == by[False] and len(by[True]) > 200
+
+
+def test_eval_top1_shuffles_no_text_per_question(spark, long_lines):
+    assert _written(spark, long_lines, "eval_top1") < 4
