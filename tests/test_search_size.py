@@ -211,3 +211,7 @@ def test_scores_of_marks_are_those_of_texts(spark, long_lines):
 
 def test_eval_top1_shuffles_no_text_per_question(spark, long_lines):
     assert _written(spark, long_lines, "eval_top1") < 4
+
+
+def test_rerank_shuffles_no_text_per_question(spark, long_lines):
+    assert _written(spark, long_lines, "rerank") < 4
