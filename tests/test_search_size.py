@@ -215,3 +215,7 @@ def test_eval_top1_shuffles_no_text_per_question(spark, long_lines):
 
 def test_rerank_shuffles_no_text_per_question(spark, long_lines):
     assert _written(spark, long_lines, "rerank") < 4
+
+
+def test_score_hits_shuffles_no_text_per_question(spark, long_lines):
+    assert _written(spark, long_lines, "score_hits") < 4
