@@ -219,3 +219,19 @@ def test_rerank_shuffles_no_text_per_question(spark, long_lines):
 
 def test_score_hits_shuffles_no_text_per_question(spark, long_lines):
     assert _written(spark, long_lines, "score_hits") < 4
+
+
+@pytest.fixture(scope="module")
+def many_tasks(spark, tables, tmp_path_factory):
+    """The code in 32 files that a task each reads; every task has hits of every question."""
+    d = str(tmp_path_factory.mktemp("tasks"))
+    spark.createDataFrame(list(_rows(1)), CODE).repartition(32).write.parquet(f"{d}/code_chunks.parquet")
+    spark.read.parquet(f"{tables}/eval_cases.parquet").write.parquet(f"{d}/eval_cases.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    yield d
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_rerank_shuffles_what_tasks_keep_once(spark, many_tasks):
+    assert _written(spark, many_tasks, "rerank") < 3
