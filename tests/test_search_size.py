@@ -235,3 +235,34 @@ def many_tasks(spark, tables, tmp_path_factory):
 
 def test_rerank_shuffles_what_tasks_keep_once(spark, many_tasks):
     assert _written(spark, many_tasks, "rerank") < 3
+
+
+@pytest.fixture(scope="module")
+def many_paths(spark, many_tasks, tmp_path_factory):
+    """150 repositories with so many paths that the first few fill the total of most questions."""
+    d = str(tmp_path_factory.mktemp("paths"))
+    rng = random.Random(6)
+    rows = []
+    for i in range(6000):
+        text = "\n".join(" ".join(rng.sample(WORDS, 6)) for _ in range(4))
+        rows.append((f"c{i}", f"repo{i % 150:03}", f"app/{'/'.join(rng.sample(WORDS, 4))}.py", "python", 1, 4, text))
+    spark.createDataFrame(rows, CODE).repartition(32).write.parquet(f"{d}/code_chunks.parquet")
+    spark.read.parquet(f"{many_tasks}/eval_cases.parquet").write.parquet(f"{d}/eval_cases.parquet")
+    return d
+
+
+def test_score_hits_keeps_no_line_behind_the_paths(spark, many_paths):
+    assert _written(spark, many_paths, "score_hits") < 3.5
+
+
+def test_lines_before_the_last_path_are_kept(spark, many_paths):
+    code = spark.read.parquet(f"{many_paths}/code_chunks.parquet").withColumn("repo_id", F.when(F.col("repo_id") != "repo002", F.col("repo_id")))
+    asked = S.understood(spark.createDataFrame([(1, "word1 word2 word3"), (2, "word4 Word5 word6 word7"), (3, "missing word8"), (4, "nothing")], "question_id long, question string"))
+    index = S.path_index(code)
+    columns = ["question_id", "source", "repo_id", "path", "line", "text", "matched_keywords", "ord"]
+    for some in (asked, asked.where("question_id < 3")):  # without and with an edge for each question
+        for block in (5000, 1):
+            with scratch_space(spark):
+                want = S.keyword_hits(S.keyword_lines(code, some), S.path_hits(index, some), index.select("repo_id").distinct().count()).select(columns).collect()
+                got = S.lexical_hits(code, index, some, S.SearchConfig(block=block)).select(columns).collect()
+            assert sorted(map(str, got)) == sorted(map(str, want)) and {r.source for r in want} == {"keyword", "path"}
